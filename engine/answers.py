@@ -1,0 +1,167 @@
+"""Records whose text lacks its end, and answers that are no proper answer (TESTDATA.md, problems 1 and 6)."""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+EMPTY_WORDS = {"", "n a", "na", "nan", "none", "null", "nil", "empty", "no output", "no answer", "no response", "no text", "answer answer", "response response", "output output", "blank", "undefined", "todo", "tbd"}
+INVISIBLE = re.compile("[​-‏ -‮⁠-⁯﻿­︎️᠎\x00-\x08\x0e-\x1f\x7f]")
+CUT_MARK = re.compile(r"(?:\.{3,}|…|\.\s\.\s\.|[\[(<{]\s*(?:\.{2,}|…|(?:output |text |response |answer )?(?:truncated|cut(?: off| here)?|cont(?:inued|\.)?|to be continued|snip(?:ped)?|max[ _]tokens?|length limit|abgeschnitten|gekürzt|tronqué|coupé|cortado|truncado))\.{0,3}\s*[\])>}])\W*$", re.I)
+STOP = ".!?。！？؟।"
+CLOSERS = "\"'”’»›)]}*_`~）」』】“"
+NOTE = re.compile(r"\s*(?:\[\d+(?:\s*[,–-]\s*\d+)*\]|\((?:see|siehe|voir|véase|ver|cf\.?|vgl\.?)?\s*(?:note|fig(?:ure)?|ref|table|anm(?:erkung)?|nota|abb)?\.?\s*\d+\)|[¹²³⁰⁴-⁹]+)\s*$", re.I)
+ITEM = re.compile(r"\s*(?:[-*•+–]|\d+[.)]|[a-z][.)])\s+(\S.*)$")
+LABEL = re.compile(r"[*_]*(?!.*(?:hypoth|hipót|idea|idée|propos|vorschlag|vermut).*[:：])[^\W\d][^\s:：.!?]*(?: [^\s:：.!?]+){0,2}[*_]*\s?[:：][*_]*\s*\S+(?: \S+){0,5}$", re.I)
+SIGN_OFF = re.compile(r"(?:[—–=*~#-]+\s*\S[^.]{0,60}\S\s*[—–=*~#-]+|[<\[]\|?/?[\w ]{2,40}\|?[>\]]|[*=_—–-]{3,}|∎|■|□)$")
+
+
+def has_content(text: str | None) -> bool:
+    """Whether there is anything that can be read as an answer."""
+    if text is None:
+        return False
+    return " ".join(re.findall(r"[^\W_]+", INVISIBLE.sub("", text).lower())) not in EMPTY_WORDS
+
+
+def lacks_end(text: str | None) -> bool:
+    """Whether the text stops in mid-word or mid-sentence, with or without a mark of the cut."""
+    if not has_content(text):
+        return False
+    text = INVISIBLE.sub("", text).rstrip()
+    if CUT_MARK.search(text) or text.endswith("�"):
+        return True
+    if len(re.findall(r"(?m)^\s*```", text)) % 2:
+        return True
+    if text.endswith("```"):
+        return False
+    lines = text.split("\n")
+    last = lines[-1].strip()
+    if last.startswith("|"):
+        return not (last.endswith("|") and len(last) > 1 and (len(lines) < 2 or not lines[-2].strip().startswith("|") or last.count("|") == lines[-2].count("|")))
+    if SIGN_OFF.match(last):
+        return False
+    body = NOTE.sub("", text)
+    while body and body[-1] in CLOSERS:
+        body = body[:-1].rstrip()
+    if body and body[-1] in STOP:
+        if re.search(r"(?:^|\n)\s*\d+\.$", body):
+            return True  # only the number of the next item
+        # "(± 2." is a number cut at its point
+        return bool(re.search(r"\d\.$", body)) and body.rfind("(") > body.rfind(")") and not text.endswith(")")
+    if body and body[-1] in ",;:–—-(±/、，；：=&+":
+        return True
+    # A list's last item and a closing line with a label are whole without a stop.
+    if m := ITEM.match(lines[-1]):
+        before = next((x for x in reversed(lines[:-1]) if x.strip()), "")
+        return not (ITEM.match(before) and before.rstrip()[-1] not in STOP and len(m[1]) <= 80)
+    return not (len(last) <= 80 and LABEL.match(last) and (len(lines) < 2 or not lines[-2].strip()))
+
+
+def p1_cases(records: DataFrame) -> DataFrame:
+    """request_id, model and cut of each record, once."""
+    cut = F.pandas_udf(lambda s: s.map(lacks_end).astype(bool), "boolean")
+    return records.select("request_id", "model", cut("text").alias("cut")).groupBy("request_id").agg(F.min("model").alias("model"), F.max("cut").alias("cut"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_cases(spark.read.parquet(f"{sf_dir}/generation_records.parquet")).where("cut").select("request_id")
+
+
+def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each model the share of its records that are cut."""
+    cases = p1_cases(spark.read.parquet(f"{sf_dir}/generation_records.parquet"))
+    return cases.groupBy("model").agg(F.count("*").alias("records"), F.count_if("cut").alias("cut")).withColumn("share", F.col("cut") / F.col("records"))
+
+
+WORDS = {
+    "en": "the of and that is in to with by for are as be we this it from at how what does which not can or an",
+    "de": "der die das und ist nicht mit bei von zu den dem ein eine einer eines wir dass wie auf für sich wird als oder im werden durch",
+    "fr": "le les des et est dans une un que qui pour par nous avec du au aux chez sur ne pas ce cette se plutôt comment quel la de",
+    "es": "el los las y es en una un que por para con del al se no como su lo más esta este entre cómo qué la de",
+}
+WORDS = {k: frozenset(v.split()) for k, v in WORDS.items()}
+NAMED = {
+    "en": r"\bin english\b|auf englisch|en anglais|en inglés|用英[语文]|по-английски",
+    "de": r"\bin german\b|auf deutsch|en allemand|en alemán|用德[语文]|по-немецки",
+    "fr": r"\bin french\b|auf französisch|en français|en francés|用法[语文]|по-французски",
+    "es": r"\bin spanish\b|auf spanisch|en espagnol|en español|用西班牙[语文]|по-испански",
+    "zh": r"\bin chinese\b|auf chinesisch|en chinois|en chino|用中文|用汉语|по-китайски",
+    "ru": r"\bin russian\b|auf russisch|en russe|en ruso|用俄[语文]|по-русски",
+}
+NAMED = {k: re.compile(v, re.I) for k, v in NAMED.items()}
+
+
+def language(text: str) -> str | None:
+    """The language that most of the text is in."""
+    han, cyrillic, latin = (len(re.findall(p, text)) for p in ("[一-鿿]", "[Ѐ-ӿ]", r"[A-Za-zÀ-ÿ]"))
+    if han * 2 > latin:
+        return "zh" if han else None
+    if cyrillic > latin:
+        return "ru"
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    counts = {k: sum(w in s for w in words) for k, s in WORDS.items()}
+    best = max(counts, key=lambda k: counts[k])
+    return best if counts[best] else None
+
+
+def asked_language(prompt: str) -> str | None:
+    """The language the instruction names for the answer, else the prompt's own."""
+    head = re.split(r"\n\s*\n", prompt)[0]
+    return next((k for k, p in NAMED.items() if p.search(head)), None) or language(prompt)
+
+
+REFUSAL = re.compile(
+    r"\b(?:can(?:no|['’ ])?t|can ?not|won['’]?t|will not|unable|not able|must (?:decline|pass|refuse)|have to (?:decline|pass|refuse)|decline|refuse|outside what i may|not something i can|not be right for me|not allowed|not permit|not comfortable|sorry|apologi[sz]e|with regret|regretfully|against my|prefer not|rather not|no (?:idea|answer|proposal|hypothesis) (?:will|can|shall) be)\b"
+    r"|\b(?:leider|ablehnen|ablehne|verweiger\w*|darf ich|kann ich|möchte ich (?:nicht|keine?)|tut mir leid|entschuldig\w*|bedaure|keine idee|nicht helfen|nicht möglich)\b"
+    r"|\b(?:désolée?|regrette|refuser|refuse|décline|décliner|impossible|ne peux|ne puis|ne suis pas|pas en mesure|pas autorisée?|m['’]abstenir|excusez)\b"
+    r"|\b(?:lo siento|lamento|lamentablemente|no puedo|no me es posible|imposible|debo (?:rechazar|declinar)|rechazar|declinar|disculpa\w*|no estoy|no debo|perdón)\b"
+    r"|抱歉|对不起|无法|不能|拒绝|很遗憾|извин\w*|не могу|вынужден|отказ\w*|к сожалению",
+    re.I,
+)
+
+
+@lru_cache(4096)
+def shingles(text: str) -> frozenset[str]:
+    s = "".join(re.findall(r"[^\W_]+", text.lower()))
+    return frozenset(s[i : i + 5] for i in range(max(1, len(s) - 4)))
+
+
+def share_of(text: str, prompt: str) -> float:
+    own, other = shingles(text), shingles(prompt)
+    return len(own & other) / max(1, len(own))
+
+
+def rest_of(text: str, prompt: str) -> list[str]:
+    """The sentences that aren't taken from the prompt."""
+    return [s for s in re.split(r"(?<=[.!?。！？])\s*|\n+", text) if re.search(r"[^\W_]", s) and share_of(s, prompt) < 0.6]
+
+
+def defect(prompt: str | None, text: str | None) -> str | None:
+    if not has_content(text):
+        return "empty"
+    if lacks_end(text):
+        return "truncated"
+    prompt = prompt or ""
+    rest = rest_of(text, prompt) if REFUSAL.search(text) else []
+    if any(REFUSAL.search(s) for s in rest[:2]) and len(rest) <= 4 and sum(map(len, rest)) < 400 and not re.search(r"\b[A-Z]{2,}-?\d{2,}\b", " ".join(rest)):
+        return "refusal"
+    if share_of(text, prompt) >= 0.6:
+        return "copy"
+    own, asked = language(text), asked_language(prompt)
+    return "other_language" if own and asked and own != asked else None
+
+
+def p6_cases(records: DataFrame, prompts: DataFrame) -> DataFrame:
+    """request_id and defect of each record that is no proper answer, once."""
+    found = F.pandas_udf(lambda p, t: pd.Series([defect(*x) for x in zip(p, t, strict=True)], dtype=object), "string")
+    once = records.select("request_id", "prompt_id", "text").dropDuplicates(["request_id"])
+    asked = prompts.select(F.col("id").alias("prompt_id"), F.col("text").alias("prompt")).dropDuplicates(["prompt_id"])
+    return once.join(asked, "prompt_id", "left").select("request_id", found("prompt", "text").alias("defect")).where("defect IS NOT NULL")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_cases(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("generation_records", "prompts")))

@@ -1,0 +1,93 @@
+"""Consensus of raters on pairs (TESTDATA.md, problem 4)."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+ROUNDS = 30
+
+
+def votes(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """original, rater_id, vote (1 equivalent, 0 not): the latest answer of each rater to each blind_id, at its original."""
+    said = F.regexp_replace(F.lower(F.trim(F.regexp_replace("label", r"\s+", " "))), r"[\s_-]+", "_")
+    vote = F.when(said == "equivalent", 1).when(said == "not_equivalent", 0)
+    latest = (
+        labels.groupBy("blind_id", "rater_id")
+        .agg(F.max(F.struct("submitted_at", vote.alias("vote")))["vote"].alias("vote"))
+        .where("vote IS NOT NULL")
+    )
+    of = pairs.select("blind_id", F.coalesce(F.when(F.trim("repeat_of") != "", F.trim("repeat_of")), "blind_id").alias("original"))
+    return latest.join(of, "blind_id").select("original", "rater_id", "vote")
+
+
+def posteriors(by_pair: DataFrame, prior: float, rates: dict[str, tuple[float, float]]) -> DataFrame:
+    """Adds p, the probability of equivalent, given each rater's rate of saying equivalent to equivalent pairs and to others."""
+    pieces = [F.lit(x) for r, (a, b) in rates.items() for x in (r, [math.log((1 - a) / (1 - b)), math.log(a / b)])]
+    weight = F.create_map(*pieces) if pieces else None
+    log_odds = F.lit(math.log(prior / (1 - prior)))
+    if weight is not None:
+        log_odds = F.aggregate("votes", log_odds, lambda s, v: s + F.element_at(F.element_at(weight, v["rater_id"]), v["vote"] + 1))
+    return by_pair.withColumn("p", 1 / (1 + F.exp(-log_odds)))
+
+
+def fitted(by_pair: DataFrame) -> tuple[float, dict[str, tuple[float, float]]]:
+    """Prior and rates by expectation maximisation from the vote shares; the driver holds a few numbers per rater."""
+    scored, prior, rates = by_pair.withColumn("p", F.aggregate("votes", F.lit(0.0), lambda s, v: s + v["vote"]) / F.size("votes")), 0.5, {}
+    for _ in range(ROUNDS):
+        # Sums of whole numbers, so that the order of the rows doesn't matter.
+        unit = F.round(F.col("p") * 1_000_000).cast("bigint")
+        rows = (
+            scored.select(unit.alias("u"), F.explode("votes").alias("v"))
+            .groupBy("v.rater_id")
+            .agg(F.count("*").alias("n"), F.sum("u").alias("u"), F.sum(F.col("v.vote")).alias("y"), F.sum(F.col("u") * F.col("v.vote")).alias("yu"))
+            .orderBy("rater_id")
+            .collect()
+        )
+        new = {}
+        for r in rows:
+            u, yu = r["u"] / 1e6, r["yu"] / 1e6
+            new[r["rater_id"]] = ((yu + 2) / (u + 3), (r["y"] - yu + 1) / (r["n"] - u + 3))
+        total = scored.agg(F.sum(unit), F.count("*")).first()
+        prior = min(0.99, max(0.01, total[0] / 1e6 / total[1])) if total[1] else 0.5
+        moved = max((abs(x - y) for k in new for x, y in zip(new[k], rates.get(k, (2, 2)), strict=True)), default=0)
+        rates = new
+        scored = posteriors(by_pair, prior, rates)
+        if moved < 1e-3:
+            break
+    return prior, rates
+
+
+def consensus(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """blind_id of each original, label, p (probability of equivalent), votes, agreement (share of the votes for the label)."""
+    originals = pairs.where("repeat_of IS NULL OR trim(repeat_of) = ''").select("blind_id").distinct()
+    by_pair = (
+        votes(pairs, labels)
+        .groupBy("original")
+        .agg(F.sort_array(F.collect_list(F.struct("rater_id", "vote"))).alias("votes"))
+        .persist()
+    )
+    prior, rates = fitted(by_pair)
+    p = posteriors(by_pair, prior, rates).withColumnRenamed("original", "blind_id")
+    yes = F.aggregate("votes", F.lit(0.0), lambda s, v: s + v["vote"])
+    found = originals.join(p, "blind_id", "left").withColumn("p", F.coalesce("p", F.lit(prior)))
+    return found.select(
+        "blind_id",
+        F.when(F.col("p") > 0.5, "equivalent").otherwise("not_equivalent").alias("label"),
+        "p",
+        F.coalesce(F.size("votes"), F.lit(0)).alias("n_votes"),
+        (F.when(F.col("p") > 0.5, yes).otherwise(F.size("votes") - yes) / F.size("votes")).alias("agreement"),
+    )
+
+
+def reliability(spark: SparkSession, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """rater_id, and its estimated rates of naming equivalent and other pairs rightly."""
+    by_pair = votes(pairs, labels).groupBy("original").agg(F.sort_array(F.collect_list(F.struct("rater_id", "vote"))).alias("votes"))
+    _, rates = fitted(by_pair)
+    return spark.createDataFrame([(r, a, 1 - b) for r, (a, b) in rates.items()], "rater_id STRING, right_equivalent DOUBLE, right_other DOUBLE")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("semantic_pairs", "equivalence_labels"))).select("blind_id", "label")

@@ -1,0 +1,40 @@
+"""Ranked selections of samples (TESTDATA.md, problem 2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def top_samples(samples: DataFrame, k: int = 3) -> DataFrame:
+    """The k samples of highest valid quality_score of each prompt_id, each sample by its latest scored_at."""
+    latest = samples.groupBy("prompt_id", "sample_index").agg(
+        F.max(F.struct("scored_at", "quality_score"))["quality_score"].alias("quality_score")
+    )
+    valid = latest.where(~F.isnan("quality_score") & F.col("quality_score").between(0, 1))
+    # The rank filter is applied before the shuffle too (WindowGroupLimit), so that a large prompt sends few rows.
+    order = Window.partitionBy("prompt_id").orderBy(F.desc("quality_score"), F.asc("sample_index"))
+    return (
+        valid.withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= k)
+        .select("prompt_id", "place", "sample_index")
+    )
+
+
+P2_SQL = """
+WITH latest AS (
+  SELECT prompt_id, sample_index, quality_score
+  FROM teacher_generations
+  QUALIFY row_number() OVER (PARTITION BY prompt_id, sample_index ORDER BY scored_at DESC NULLS LAST, quality_score DESC NULLS LAST) = 1
+), placed AS (
+  SELECT prompt_id, sample_index,
+         CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY quality_score DESC, sample_index) AS INTEGER) AS place
+  FROM latest
+  WHERE quality_score IS NOT NULL AND NOT isnan(quality_score) AND quality_score BETWEEN 0 AND 1
+)
+SELECT prompt_id, place, sample_index FROM placed WHERE place <= 3
+"""
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_samples(spark.read.parquet(f"{sf_dir}/teacher_generations.parquet"))

@@ -1,0 +1,39 @@
+"""Token ids of texts in byte_bpe_50k (TESTDATA.md, problem 7)."""
+
+from __future__ import annotations
+
+import base64
+from collections.abc import Iterator
+from functools import cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+
+@cache
+def encoding():
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def ids_of(text: str | None) -> list[int]:
+    """Ids without special tokens, whose strings are ordinary text; none for an empty or null text."""
+    return encoding().encode_ordinary(text) if text else []
+
+
+def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids = pa.array([ids_of(t) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
+
+
+def with_ids(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", "text").mapInArrow(encoded, "doc_id BIGINT, ids ARRAY<INT>")
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"))

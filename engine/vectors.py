@@ -1,0 +1,83 @@
+"""The most similar vectors of each vector (TESTDATA.md, problem 3)."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SIZE, BLOCK, SLICES, GROUP = 64, 20_000, 6, 32
+
+
+def valid(vectors: DataFrame) -> DataFrame:
+    e = F.col("embedding")
+    return vectors.where(
+        e.isNotNull() & (F.size(e) == SIZE) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x)) & F.exists(e, lambda x: x != 0)
+    ).select("vec_id", "embedding")
+
+
+def unit(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids = t.column("vec_id").to_numpy()
+    flat = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x = flat.reshape(len(ids), -1)
+    return ids, x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def best(queries: pa.Table, base: pa.Table, k: int) -> pa.Table:
+    """vec_a, vec_b, cosine: the k vectors of base most similar to each of queries; every pair is compared."""
+    out = {"vec_a": [], "vec_b": [], "cosine": []}
+    if queries.num_rows and base.num_rows:
+        qi, q = unit(queries)
+        bi, b = unit(base)
+        n, groups = len(bi), math.ceil(len(bi) / GROUP)
+        b32, q32 = np.zeros((groups * GROUP, b.shape[1]), np.float32), q.astype(np.float32)
+        b32[:n] = b
+        # The largest of all lie in the groups of the largest maxima; some more are kept for the exact cosine and the vector itself.
+        g = min(groups, k + 4)
+        for at in range(0, len(qi), 256):
+            s = (q32[at : at + 256] @ b32.T).reshape(-1, groups, GROUP)
+            top = np.argpartition(-s.max(axis=2), g - 1, axis=1)[:, :g]
+            cols = (top[:, :, None] * GROUP + np.arange(GROUP)).reshape(len(s), -1)
+            near = np.take_along_axis(s, top[:, :, None], 1).reshape(len(s), -1)
+            near[cols >= n] = -9
+            m = min(near.shape[1], k + 4)
+            pick = np.argpartition(-near, m - 1, axis=1)[:, :m]
+            cols = np.take_along_axis(cols, pick, 1)
+            for r, own in enumerate(cols):
+                own = own[(own < n)]
+                own = own[bi[own] != qi[at + r]]
+                cosine = b[own] @ q[at + r]
+                order = np.lexsort((bi[own], -cosine))[:k]
+                out["vec_a"].append(np.full(len(order), qi[at + r]))
+                out["vec_b"].append(bi[own][order])
+                out["cosine"].append(cosine[order])
+    kinds = {"vec_a": np.int64, "vec_b": np.int64, "cosine": np.float64}
+    return pa.table({c: np.concatenate(out[c]).astype(t) if out[c] else np.empty(0, t) for c, t in kinds.items()})
+
+
+def neighbours(vectors: DataFrame, k: int = 5) -> DataFrame:
+    """vec_a, vec_b, cosine: the k other vectors most similar to each valid vector, blocks against blocks."""
+    v = valid(vectors)
+    blocks = max(1, math.ceil(v.count() / BLOCK))
+    slices = SLICES * blocks
+    of = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    q = v.select("vec_id", "embedding", of(slices).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(True).alias("asks"))
+    b = v.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("q"), of(blocks).alias("b"), F.lit(False).alias("asks"))
+
+    def compared(t: pa.Table) -> pa.Table:
+        return best(t.filter(t.column("asks")), t.filter(pc.invert(t.column("asks"))), k)
+
+    near = q.union(b).groupBy("q", "b").applyInArrow(compared, "vec_a BIGINT, vec_b BIGINT, cosine DOUBLE")
+    if blocks == 1:
+        return near
+    first = near.groupBy("vec_a").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "vec_b"))), 1, k).alias("n"))
+    return first.select("vec_a", F.explode("n").alias("n")).select("vec_a", F.col("n.vec_b").alias("vec_b"), (-F.col("n.c")).alias("cosine"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours(spark.read.parquet(f"{sf_dir}/text_vectors.parquet"))
+    return near.select(F.least("vec_a", "vec_b").alias("vec_a"), F.greatest("vec_a", "vec_b").alias("vec_b")).distinct()

@@ -1,0 +1,55 @@
+import pytest
+
+from engine.answers import defect, lacks_end, p1_cases, p6_cases
+
+WHOLE = [
+    "It slows decay.", "It slows decay. [20]", "It slows decay. (see note 4)", "He wrote “it fails.”", "结论能否推广仍不清楚。", "It works.\n\n— end of proposal —",
+    "It works.\n\n1. recruit\n2. treat for 12 weeks\n3. compare yield", "It works.\n\n| a | n |\n|---|---|\n| x | 2 |", "It works.\n\n```\narms: 2\n```", "It works.\n\nConfidence: medium",
+    "Ça marche.\n\nTaille prévue : n = 36", "n/a", "", "​", None, "It works!\n",
+]
+CUT = [
+    "It slows the dec", "It slows the decay and", "It slows the…", "It slows [truncated]", "It slows the dec [...]", "It slows the (cont.)", "shifts in na�", "It falls by 10 % (± 2.",
+    "It works.\n\nThe decisive test is in-situ diffraction: turn", "It works.\n\n```\narms: 2", "It works.\n\n| a | n |\n|---|---|\n| x | 2", "对照组只接受溶", "Le coût est modéré : environ",
+]
+
+
+@pytest.mark.parametrize("text", WHOLE)
+def test_whole(text):
+    assert not lacks_end(text)
+
+
+@pytest.mark.parametrize("text", CUT)
+def test_cut(text):
+    assert lacks_end(text)
+
+
+PROMPT = "Read the question and set out one idea.\n\nQ:\nWhich step links pore clogging to leak current in hydrogel fibres?\n\nContext:\nOlder data on leak current were collected without controls."
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("(empty)", "empty"),
+        (None, "empty"),
+        ("We propose that Xa slows the", "truncated"),
+        ("I'm sorry, but I can't help with this request.", "refusal"),
+        ("You ask: Which step links pore clogging to leak current in hydrogel fibres? No idea will be offered here.", "refusal"),
+        ("WHICH STEP LINKS PORE CLOGGING TO LEAK CURRENT IN HYDROGEL FIBRES?", "copy"),
+        ("Wir vermuten, dass Xa die Poren über ABCD12 verändert und dadurch der Strom sinkt.", "other_language"),
+        ("I'm sorry that the notes are thin; here is an idea. We propose that Xa slows pore clogging in hydrogel fibres through ABCD12 signalling, and that this limits leak current.", None),
+    ],
+)
+def test_defect(text, kind):
+    assert defect(PROMPT, text) == kind
+
+
+def test_named_language_counts():
+    assert defect(PROMPT.replace("idea.", "idea. Answer in German.", 1), "Wir vermuten, dass Xa die Poren über ABCD12 verändert.") is None
+
+
+def test_each_record_once(spark):
+    rows = [("a", "p", "m", "It slows the"), ("a", "p", "m", "It slows the"), ("b", "p", "m", "It is whole."), ("c", "p", "m", None)]
+    records = spark.createDataFrame(rows, "request_id STRING, prompt_id STRING, model STRING, text STRING")
+    prompts = spark.createDataFrame([("p", PROMPT), ("p", PROMPT)], "id STRING, text STRING")
+    assert sorted((r["request_id"], r["cut"]) for r in p1_cases(records).collect()) == [("a", True), ("b", False), ("c", False)]
+    assert sorted((r["request_id"], r["defect"]) for r in p6_cases(records, prompts).collect()) == [("a", "truncated"), ("c", "empty")]

@@ -1,0 +1,22 @@
+import datetime as dt
+
+from engine.calibration import consensus
+
+T = dt.datetime(2025, 1, 1)
+
+
+def test_repeats_spellings_latest_answer_and_contrary_raters(spark):
+    pairs = [(f"o{i}", None if i % 2 else " ") for i in range(12)] + [("r0", "o0"), ("none", None)]
+    right = {f"o{i}": i % 3 == 0 for i in range(12)}
+    labels = []
+    for b, yes in right.items():
+        for r in ("a", "b", "c", "d"):
+            labels.append((b, r, " Equivalent\n" if yes else "NOT-equivalent", T))
+        for r in ("x", "y", "z"):  # always the contrary
+            labels.append((b, r, "not equivalent" if yes else "equivalent", T))
+        labels.append((b, "e", "uncertain", T))
+    labels += [("o0", "a", "not_equivalent", T - dt.timedelta(1)), ("r0", "b", "equivalent", T), ("o1", "a", None, T + dt.timedelta(1))]
+    out = consensus(spark.createDataFrame(pairs, "blind_id STRING, repeat_of STRING"), spark.createDataFrame(labels, "blind_id STRING, rater_id STRING, label STRING, submitted_at TIMESTAMP_NTZ"))
+    found = {r["blind_id"]: r["label"] for r in out.collect()}
+    assert set(found) == {*right, "none"}
+    assert {b: found[b] == "equivalent" for b in right} == right

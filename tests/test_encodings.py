@@ -1,0 +1,31 @@
+import pytest
+
+from engine.encodings import is_garbled, p9_cases, restored
+
+RIGHT = [
+    "It doesn’t need 5 µM ± 0.4 – see §4, χ² = 2 at 37 °C.", "ÂGE and ÎLE are column names of the French sheet.", "The log says \\u00e9 where the form has é.", "caf&eacute; &lt; 3",
+    "São Velar, naïve, Ångström, cœur, Größe, „Änderung“ ✅ 🙂", "Мы полагаем, что мРНК и мРНК меняют состояние корней.", "КАК ИЗМЕНИТЬ ЦВЕТЕНИЕ ВОДОРОСЛЕЙ", "我们提出，该通路改变渗透性。 结论能否推广仍不清楚。", "", None,
+]
+RUSSIAN, CHINESE = "Мы полагаем, что это меняет качество сна", "我们提出，通路改变玉米幼苗的种子萌发，从而影响渗透性。"
+GARBLED = [
+    "naïve T cells".encode().decode("cp1252"), "It doesn’t".encode().decode("latin-1"), "naïve".encode().decode("cp437"), "naïve".encode().decode("mac_roman"), "año".encode().decode("cp1250"),
+    RUSSIAN.encode().decode("cp1251", "replace"), RUSSIAN.encode("cp1251").decode("latin-1"), RUSSIAN.encode("koi8-r").decode("cp1251"), CHINESE.encode("gbk").decode("latin-1"), CHINESE.encode().decode("gbk", "replace"),
+    "na�ve", "naïve".encode().decode("latin-1").encode().decode("latin-1"),
+]
+
+
+@pytest.mark.parametrize("text", RIGHT)
+def test_right(text):
+    assert not is_garbled(text)
+
+
+@pytest.mark.parametrize("text", GARBLED)
+def test_garbled(text):
+    assert is_garbled(text)
+
+
+def test_restored(spark):
+    rows = [(1, "naïve, it doesn’t".encode().decode("latin-1")), (2, "na�ve"), (3, "naïve"), (4, None)]
+    found = {r["doc_id"]: r["restored"] for r in p9_cases(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    assert found == {1: "naïve, it doesn’t", 2: None}
+    assert restored("naïve".encode().decode("cp1252").encode().decode("cp1252")) == "naïve"

@@ -1,0 +1,15 @@
+import datetime as dt
+
+from engine.selection import top_samples
+
+COLUMNS = "prompt_id STRING, sample_index INT, quality_score DOUBLE, scored_at TIMESTAMP_NTZ"
+
+
+def test_latest_valid_score_counts_and_ties_go_to_the_lower_index(spark):
+    a, b = dt.datetime(2025, 1, 1), dt.datetime(2025, 1, 2)
+    rows = [
+        ("p", 0, 0.5, a), ("p", 0, 0.5, a), ("p", 1, 0.9, a), ("p", 1, None, b), ("p", 2, 0.1, a), ("p", 2, 0.8, b),
+        ("p", 3, 0.5, a), ("p", 4, float("nan"), a), ("p", 5, 1.2, a), ("p", 6, 0.4, a), ("q", 7, 0.0, a),
+    ]
+    found = {tuple(r) for r in top_samples(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert found == {("p", 1, 2), ("p", 2, 0), ("p", 3, 3), ("q", 1, 7)}

@@ -1,0 +1,14 @@
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from engine.tokens import with_ids
+
+TEXTS = ["It doesn’t need 5 µM.", "  two  spaces\r\n\n\tand 12345", "<|endoftext|> was pasted", "我们提出，该通路", "Мы полагаем 🙂✅", "x" * 3000, " ", "\u0000﻿"]
+
+
+def test_ids_as_the_json_vocabulary_gives_and_none_for_empty_and_null(spark):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    rows = [*enumerate(TEXTS), (100, ""), (101, None)]
+    found = {r["doc_id"]: list(r["ids"]) for r in with_ids(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    assert found == {i: t.encode(x, add_special_tokens=False).ids for i, x in enumerate(TEXTS)} | {100: [], 101: []}
