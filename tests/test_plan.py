@@ -9,3 +9,7 @@ def test_resamples_are_those_of_the_reference():
 
 def test_xml_view_has_no_row_cap():
     assert "200 orders" not in PLAN
+
+
+def test_prompts_are_whole_texts():
+    assert "first 200 chars" not in PLAN
