@@ -1,0 +1,60 @@
+"""Texts put into containers of a fixed number of tokens (TESTDATA.md, problem 8)."""
+
+from __future__ import annotations
+
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from engine.tokens import ids_of
+
+ROOM = 2048
+
+
+def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A piece for each text, more only if it exceeds ROOM alone; none for a text without tokens."""
+    for b in batches:
+        rows = [
+            (d, k, min(ROOM, n - at))
+            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)
+            for n in [len(ids_of(t))]
+            for k, at in enumerate(range(0, n, ROOM))
+        ]
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "piece", "n_tokens"])
+
+
+def patterns(counts: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
+    """n_tokens, rank of the first piece, pieces, first container, pieces to a container: the largest pieces first, each container filled with the largest that fit."""
+    left, sizes, out, container = dict(counts), sorted(counts), [], 0
+    while sizes:
+        used, room, at = {}, ROOM, len(sizes)
+        while at and (at := bisect_right(sizes, room, 0, at)):
+            s = sizes[at - 1]
+            used[s] = min(room // s, left[s])
+            room -= used[s] * s
+            at -= 1
+        times = min(left[s] // n for s, n in used.items())
+        for s, n in used.items():
+            out.append((s, counts[s] - left[s], n * times, container, n))
+            left[s] -= n * times
+            if not left[s]:
+                sizes.remove(s)
+        container += times
+    return out
+
+
+def packed(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    pieces = documents.select("doc_id", "text").mapInArrow(sized, "doc_id BIGINT, piece INT, n_tokens INT").persist()
+    counts = {r["n_tokens"]: r["count"] for r in pieces.groupBy("n_tokens").count().collect()}  # ROOM rows at most
+    plan = spark.createDataFrame(patterns(counts), "n_tokens INT, start BIGINT, n BIGINT, container BIGINT, each BIGINT")
+    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("n_tokens").orderBy("doc_id", "piece")) - 1)
+    here = ranked.join(F.broadcast(plan), "n_tokens").where("rank >= start AND rank < start + n")
+    return here.select("doc_id", "piece", "n_tokens", F.expr("container + (rank - start) div each").alias("container"))
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))

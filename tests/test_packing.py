@@ -1,0 +1,18 @@
+from collections import Counter
+
+from engine.packing import ROOM, packed
+from engine.tokens import ids_of
+
+
+def test_each_text_once_in_containers_that_hold_it(spark):
+    texts = {i: "word " * n for i, n in enumerate([1, 5000, 900, 1147, 1000, 1047, 2047, 30, 30, 30])} | {50: "", 51: None}
+    rows = packed(spark, spark.createDataFrame(list(texts.items()), "doc_id BIGINT, text STRING")).collect()
+    whole, load = Counter(), Counter()
+    for r in rows:
+        whole[r["doc_id"]] += r["n_tokens"]
+        load[r["container"]] += r["n_tokens"]
+    sizes = {d: len(ids_of(t)) for d, t in texts.items()}
+    assert whole == Counter({d: n for d, n in sizes.items() if n})
+    assert max(load.values()) <= ROOM
+    assert set(load) == set(range(len(load))) and len(load) == -(-sum(sizes.values()) // ROOM)
+    assert Counter(r["doc_id"] for r in rows) == {d: -(-n // ROOM) for d, n in sizes.items() if n}
