@@ -37,27 +37,18 @@ def stem(token: str) -> str:
     return token[:5] if token.isalpha() else token
 
 
-def said(text: str) -> dict[str, int]:
-    """Token to the number of sentences that it stands in."""
-    out: dict[str, int] = {}
-    for s in sentences(text):
-        for t in set(tokens(s)):
-            out[t] = out.get(t, 0) + 1
-    return out
-
-
-def chosen(text: str, phrasing: frozenset[str]) -> list[tuple[str, int]]:
+def chosen(by: list[list[str]], phrasing: frozenset[str]) -> list[tuple[str, int]]:
     """(token, sentences it stands in): what may belong to the idea. Tokens of the sentence with most stems beside phrasing, of stems in several sentences, and of sentences with such a stem.
 
     So names that are only set aside ("the account that rests on X") go: their sentence has nothing else of the idea."""
-    by = [set(tokens(s)) for s in sentences(text)]
     count: dict[str, int] = {}
-    for ts in by:
-        for st in {stem(t) for t in ts} - phrasing:
+    stems = [frozenset(map(stem, ts)) for ts in by]
+    for sts in stems:
+        for st in sts - phrasing:
             count[st] = count.get(st, 0) + 1
     strong = {st for st, n in count.items() if n > 1}
-    core = max(by, key=lambda ts: len({stem(t) for t in ts} & count.keys()), default=set())
-    return sorted({(t, count[stem(t)]) for ts in by for t in ts if stem(t) in strong or (stem(t) in count and (ts is core or {stem(x) for x in ts} & strong))})
+    core = max(stems, key=lambda sts: len(sts & count.keys()), default=frozenset())
+    return sorted({(t, count[stem(t)]) for ts, sts in zip(by, stems, strict=True) for t in ts if stem(t) in strong or (stem(t) in count and (sts is core or sts & strong))})
 
 
 def samples_of(generations: DataFrame) -> DataFrame:
@@ -69,15 +60,17 @@ def samples_of(generations: DataFrame) -> DataFrame:
 def features(samples: DataFrame) -> DataFrame:
     """prompt_id, sample_index, f (array of hashes of weighted features, sorted), codes and names (those of each kind that most sentences have): samples without features have no row."""
 
-    def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["prompt_id", "sample_index", "lang", "by"]
         for b in batches:
-            rows = [(p, language(t) or "", sorted({stem(w) for w in said(t)})) for p, t in zip(b.column("prompt_id").to_pylist(), b.column("text").to_pylist(), strict=True) if has_content(t)]
-            p, lang, found = list(zip(*rows, strict=True)) or ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.string()), pa.array(lang, pa.string()), pa.array(found, pa.list_(pa.string()))], ["prompt_id", "lang", "stems"])
+            rows = [(p, i, language(t) or "", [sorted(set(tokens(s))) for s in sentences(t)]) for p, i, t in zip(*(b.column(c).to_pylist() for c in names[:2] + ["text"]), strict=True) if has_content(t)]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.list_(pa.list_(pa.string()))), strict=True)], names)
 
-    read = settle(samples.select("prompt_id", "text").mapInArrow(stems, "prompt_id STRING, lang STRING, stems ARRAY<STRING>"))
+    read = settle(samples.select("prompt_id", "sample_index", "text").mapInArrow(read_in, "prompt_id STRING, sample_index INT, lang STRING, by ARRAY<ARRAY<STRING>>"))
     prompts = read.groupBy("lang").agg(F.count_distinct("prompt_id").alias("prompts"))
-    by = read.select("prompt_id", "lang", F.explode("stems").alias("stem")).distinct().groupBy("lang", "stem").count()
+    stems = F.array_distinct(F.transform(F.flatten("by"), lambda t: F.when(t.rlike("[0-9]"), t).otherwise(F.substring(t, 1, 5))))
+    by = read.select("prompt_id", "lang", F.explode(stems).alias("stem")).distinct().groupBy("lang", "stem").count()
     common = by.join(F.broadcast(prompts), "lang").where(F.col("count") >= F.greatest(PHRASING * F.col("prompts"), F.lit(2))).select("lang", "stem").collect()
     phrasing: dict[str, set[str]] = {}
     for r in common:
@@ -87,14 +80,11 @@ def features(samples: DataFrame) -> DataFrame:
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["prompt_id", "sample_index", "lang", "token", "stem", "n"]
         for b in batches:
-            rows = []
-            for p, i, text in zip(*(b.column(c).to_pylist() for c in ("prompt_id", "sample_index", "text")), strict=True):
-                lang = (language(text) or "") if has_content(text) else None
-                rows += [(p, i, lang, t, stem(t), n) for t, n in chosen(text, phrasing.get(lang, frozenset()))] if lang is not None else []
+            rows = [(p, i, lang, t, stem(t), n) for p, i, lang, by in zip(*(b.column(c).to_pylist() for c in ("prompt_id", "sample_index", "lang", "by")), strict=True) for t, n in chosen(by, phrasing.get(lang, frozenset()))]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()), strict=True)], names)
 
-    words = settle(samples.select("prompt_id", "sample_index", "text").mapInArrow(picked, "prompt_id STRING, sample_index INT, lang STRING, token STRING, stem STRING, n INT"))
+    words = settle(read.mapInArrow(picked, "prompt_id STRING, sample_index INT, lang STRING, token STRING, stem STRING, n INT"))
     spread = words.select("lang", "token", "prompt_id").distinct().groupBy("lang", "token").agg(F.count("*").alias("in_prompts")).join(F.broadcast(prompts), "lang")  # prompts has a row a language
     rare = spread.where((F.col("in_prompts") <= F.greatest(RARE * F.col("prompts"), F.lit(2))) & (F.length("token") > 5)).select("lang", "token", F.lit(True).alias("rare"))
     sizes = samples.groupBy("prompt_id").agg(F.count("*").alias("samples"))

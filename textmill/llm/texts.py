@@ -88,15 +88,17 @@ NAMED = {
     "ru": r"\bin russian\b|auf russisch|en russe|en ruso|用俄[语文]|по-русски",
 }
 NAMED = {k: re.compile(v, re.I) for k, v in NAMED.items()}
+OTHER_SCRIPT = re.compile("[一-鿿Ѐ-ӿ]")
 
 
 def language(text: str) -> str | None:
     """The language that most of the text is in, by script and frequent words."""
-    han, cyrillic, latin = (len(re.findall(p, text)) for p in ("[一-鿿]", "[Ѐ-ӿ]", r"[A-Za-zÀ-ÿ]"))
-    if han * 2 > latin:
-        return "zh" if han else None
-    if cyrillic > latin:
-        return "ru"
+    if OTHER_SCRIPT.search(text):
+        han, cyrillic, latin = (len(re.findall(p, text)) for p in ("[一-鿿]", "[Ѐ-ӿ]", r"[A-Za-zÀ-ÿ]"))
+        if han * 2 > latin:
+            return "zh" if han else None
+        if cyrillic > latin:
+            return "ru"
     words = re.findall(r"[^\W\d_]+", text.lower())
     counts = {k: sum(w in s for w in words) for k, s in WORDS.items()}
     best = max(counts, key=lambda k: counts[k])
