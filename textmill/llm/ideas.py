@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,10 +105,6 @@ def features(samples: DataFrame) -> DataFrame:
     return by.select("prompt_id", "sample_index", "f", main("codes"), main("names"))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
-
-
 def at_odds(a: Column, b: Column) -> Column:
     """Whether both name something of a kind, and nothing that could be the same."""
     alike = F.exists(a, lambda x: F.exists(b, lambda y: (x == y) | ((F.length(x) > 8) & ~x.rlike("[0-9]") & (F.levenshtein(x, y) <= MISSPELT))))
@@ -115,17 +113,35 @@ def at_odds(a: Column, b: Column) -> Column:
 
 def links(sets: DataFrame, at_least: float = LINKED) -> DataFrame:
     """prompt_id, a, b (a < b), similarity: the sets of a prompt whose exact Jaccard similarity is at_least, among those that share a band of their MinHash signatures, and that don't name different things. sets: prompt_id, rep, f, codes, names, each once a prompt."""
-    signature = F.transform(F.sequence(F.lit(1), F.lit(BANDS * ROWS)), lambda h: F.array_min(F.transform("f", lambda x: F.xxhash64(x, h))))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.slice(F.col("s"), k * ROWS + 1, ROWS)))
-    signed = sets.withColumn("s", signature).select("prompt_id", "rep", "f", "codes", "names", bands.alias("bands"))
-    each = signed.select("prompt_id", "rep", "f", "codes", "names", "bands", F.posexplode("bands").alias("band", "key"))
-    a, b = (each.select("prompt_id", "band", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "f", "codes", "names", "bands"))) for s in "ab")
-    met = a.join(b, ["prompt_id", "band", "key"]).where("rep_a < rep_b")
-    # A pair comes out at the first band that it shares, so once.
-    earlier = F.exists(F.arrays_zip(F.slice("bands_a", F.lit(1), F.col("band")).alias("x"), F.slice("bands_b", F.lit(1), F.col("band")).alias("y")), lambda z: z["x"] == z["y"])
-    scored = met.where(~F.coalesce(earlier, F.lit(False))).withColumn("similarity", jaccard(F.col("f_a"), F.col("f_b")))
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(11)
+        times, plus = (rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) | np.uint64(1) for _ in range(2))
+        for b in batches:
+            f = b.column("f")
+            if not b.num_rows:
+                continue
+            flat, starts = f.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.r_[0, np.cumsum(pc.list_value_length(f).to_numpy(zero_copy_only=False))[:-1]]
+            keys = []
+            for k in range(BANDS):
+                key = np.full(b.num_rows, k, np.uint64)
+                for h in range(k * ROWS, (k + 1) * ROWS):
+                    x = flat * times[h] + plus[h]
+                    low = np.minimum.reduceat(x ^ (x >> np.uint64(31)), starts)
+                    key = (key ^ low) * np.uint64(0x9E3779B97F4A7C15)
+                keys.append(key.view(np.int64))
+            table = np.stack(keys, axis=1).ravel()
+            yield pa.RecordBatch.from_arrays([b.column("prompt_id"), b.column("rep"), pa.ListArray.from_arrays(pa.array(np.arange(0, len(table) + 1, BANDS), pa.int32()), pa.array(table))], ["prompt_id", "rep", "bands"])
+
+    each = sets.select("prompt_id", "rep", "f").mapInArrow(banded, "prompt_id STRING, rep INT, bands ARRAY<BIGINT>").select("prompt_id", "rep", F.explode("bands").alias("key"))
+    # Buckets hold ids alone; a pair that shares several is compared once.
+    a, b = (each.select("prompt_id", "key", F.col("rep").alias(s)) for s in "ab")
+    met = a.join(b, ["prompt_id", "key"]).where("a < b").select("prompt_id", "a", "b").distinct()
+    for side in "ab":
+        met = met.join(sets.select("prompt_id", F.col("rep").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("f", "codes", "names"))), ["prompt_id", side])
+    scored = met.withColumn("both", F.size(F.array_intersect("f_a", "f_b"))).withColumn("similarity", F.col("both") / (F.size("f_a") + F.size("f_b") - F.col("both")))
     odd = at_odds(F.col("codes_a"), F.col("codes_b")) | at_odds(F.col("names_a"), F.col("names_b"))
-    return scored.where((F.col("similarity") >= at_least) & ~odd).select("prompt_id", F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "similarity")
+    return scored.where((F.col("similarity") >= at_least) & ~odd).select("prompt_id", "a", "b", "similarity")
 
 
 def components(edges: DataFrame) -> DataFrame:
