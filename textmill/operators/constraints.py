@@ -125,3 +125,12 @@ def k07(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = records(spark, sf_dir).groupBy("model").agg(F.count("*").cast("double").alias("n"), F.avg("completion_tokens").alias("mean_tokens"), F.avg(F.length("text")).alias("mean_chars"))
     long = m.unpivot("model", ["n", "mean_tokens", "mean_chars"], "name", "value")
     return long.where("value IS NOT NULL AND NOT isnan(value) AND abs(value) < double('inf')").select("model", "name", F.round("value", 6).alias("value"))
+
+
+@query("m_arrivals", "SELECT date_trunc('day', arrived_at) AS day, model, count(*) AS n, count(*) FILTER (lower(trim(finish_reason)) = 'length') AS at_limit FROM generation_records WHERE arrived_at IS NOT NULL GROUP BY ALL")
+def m_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M: records by day of arrival, by the function that the stream uses."""
+    from textmill.streaming.incremental import counts
+
+    rows = table(spark, sf_dir, "generation_records").where("arrived_at IS NOT NULL")
+    return counts(rows.withColumn("arrived_at", F.col("arrived_at").cast("timestamp"))).withColumn("day", F.col("day").cast("timestamp_ntz"))
