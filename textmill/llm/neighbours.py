@@ -280,6 +280,6 @@ def p3_recall(spark: SparkSession, sf_dir: str, k: int = 5, size: int = 64) -> D
         return pa.table({"q": ask.column("vec_id"), "near": near_column(ids, cosine, None)})
 
     true = merged(q.union(b.select(q.columns)).groupBy("block", "slice").applyInArrow(compared, NEAR), k + 1)
-    true = true.select(F.col("q").alias("vec_a"), F.explode(F.slice(F.filter("near", lambda x: x["id"] != F.col("q")), 1, k))["id"].alias("vec_b"))
+    true = true.select(F.col("q").alias("vec_a"), F.explode(F.slice(F.filter("near", lambda x: x["id"] != F.col("q")), 1, k)).alias("x")).select("vec_a", F.col("x.id").alias("vec_b"))
     hit = true.join(found.withColumn("hit", F.lit(1)), ["vec_a", "vec_b"], "left")
     return hit.agg(F.count_distinct("vec_a").alias("queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
