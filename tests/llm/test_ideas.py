@@ -31,7 +31,7 @@ def test_links_are_exact_and_lose_nothing_alike(spark):
     sets = [("p", 1, [1, 2, 3, 4], [], []), ("p", 2, [1, 2, 3, 5], [], []), ("p", 3, [9, 10], [], []), ("q", 1, [1, 2, 3, 4], [], []), ("p", 4, [1, 2, 3, 4, 6], ["abcd12"], []), ("p", 5, [1, 2, 3, 4, 7], ["efgh34"], [])]
     df = spark.createDataFrame(sets, "prompt_id STRING, rep INT, f ARRAY<BIGINT>, codes ARRAY<STRING>, names ARRAY<STRING>")
     got = {(r["a"], r["b"]): round(r["similarity"], 6) for r in ideas.links(df).collect()}
-    assert got == {(1, 2): 0.6, (1, 4): 0.8, (1, 5): 0.8, (2, 4): 0.5, (2, 5): 0.5}
+    assert got == {(1, 2): 0.6}  # samples that name nothing meet each other only
 
 
 def test_components_of_a_long_chain(spark):

@@ -16,14 +16,14 @@ from textmill.llm.texts import has_content, language, sentences
 
 #: Stems in at least this share of a language's prompts are phrasing, not idea; their number is bounded by the stems of a prompt divided by it.
 PHRASING = 0.2
-#: A word is a name if it occurs in at most this share of its language's prompts (or in two); a name weighs as much as so many stems.
+#: A word is a name if it occurs in at most this share of its language's prompts and of all (or in two); a name weighs as much as so many stems.
 RARE, NAME_WEIGHT = 0.01, 3
 #: Stems in over this share of a prompt's samples are its subject and divide nothing.
 SUBJECT = 0.6
 #: Edits within which two names may be one, misspelt.
 MISSPELT = 2
 #: Bands and rows of the MinHash signature, the Jaccard similarity of a link, and the share of links under which a component is loose.
-BANDS, ROWS, LINKED, LOOSE = 32, 2, 0.33, 0.4
+BANDS, ROWS, LINKED, LOOSE = 32, 2, 0.3, 0.7
 
 TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 CODE = re.compile(r"(?=(?:.*[a-z]){2})(?=(?:.*\d){2})[a-z][a-z0-9]+$")
@@ -60,7 +60,7 @@ def samples_of(generations: DataFrame) -> DataFrame:
 
 
 def features(samples: DataFrame) -> DataFrame:
-    """prompt_id, sample_index, f (array of hashes of weighted features, sorted), codes and names (those of each kind that most sentences have): samples without features have no row."""
+    """prompt_id, sample_index, f (array of hashes of weighted features, sorted), g (those of names alone), codes and names (those of each kind that most sentences have): samples without features have no row."""
 
     def read_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["prompt_id", "sample_index", "lang", "by"]
@@ -87,8 +87,12 @@ def features(samples: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()), strict=True)], names)
 
     words = settle(read.mapInArrow(picked, "prompt_id STRING, sample_index INT, lang STRING, token STRING, stem STRING, n INT"))
-    spread = words.select("lang", "token", "prompt_id").distinct().groupBy("lang", "token").agg(F.count("*").alias("in_prompts")).join(F.broadcast(prompts), "lang")  # prompts has a row a language
-    rare = spread.where((F.col("in_prompts") <= F.greatest(RARE * F.col("prompts"), F.lit(2))) & (F.length("token") > 5)).select("lang", "token", F.lit(True).alias("rare"))
+    # A word must be rare in its language and in all, since the language of a short text may be mistaken.
+    spread = words.select("lang", "token", "prompt_id").distinct().groupBy("lang", "token").agg(F.count("*").alias("n"))
+    anywhere = spread.groupBy("token").agg(F.sum("n").alias("all_n")).crossJoin(F.broadcast(prompts.agg(F.sum("prompts").alias("all_prompts"))))  # one row
+    spread = spread.join(anywhere, "token").join(F.broadcast(prompts), "lang")  # a row a language
+    few = lambda n, of: F.col(n) <= F.greatest(RARE * F.col(of), F.lit(2))
+    rare = spread.where(few("n", "prompts") & few("all_n", "all_prompts") & (F.length("token") > 5)).select("lang", "token", F.lit(True).alias("rare"))
     sizes = samples.groupBy("prompt_id").agg(F.count("*").alias("samples"))
     subject = words.groupBy("prompt_id", "stem").agg(F.count_distinct("sample_index").alias("n")).join(sizes, "prompt_id").where(F.col("n") > SUBJECT * F.col("samples")).select("prompt_id", "stem", F.lit(True).alias("subject"))
     full = words.join(rare, ["lang", "token"], "left").join(subject, ["prompt_id", "stem"], "left")
@@ -99,20 +103,31 @@ def features(samples: DataFrame) -> DataFrame:
     feature = F.when(F.col("name"), hashed("token", F.lit(NAME_WEIGHT))).otherwise(hashed("stem", F.least("n", F.lit(2))))
     by = kept.groupBy("prompt_id", "sample_index").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(feature)))).alias("f"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("name"), feature))))).alias("g"),
         *(F.collect_set(F.when(F.col("name") & (F.col("token").rlike("[0-9]") == coded), F.struct("n", "token"))).alias(c) for c, coded in (("codes", True), ("names", False))),
     )
     main = lambda c: F.array_sort(F.transform(F.filter(c, lambda x: x["n"] == F.array_max(c)["n"]), lambda x: x["token"])).alias(c)
-    return by.select("prompt_id", "sample_index", "f", main("codes"), main("names"))
+    return by.select("prompt_id", "sample_index", "f", "g", main("codes"), main("names"))
 
 
-def at_odds(a: Column, b: Column) -> Column:
-    """Whether both name something of a kind, and nothing that could be the same."""
-    alike = F.exists(a, lambda x: F.exists(b, lambda y: (x == y) | ((F.length(x) > 8) & ~x.rlike("[0-9]") & (F.levenshtein(x, y) <= MISSPELT))))
-    return (F.size(a) > 0) & (F.size(b) > 0) & ~alike
+def alike(a: Column, b: Column) -> Column:
+    """Whether both name one thing, perhaps misspelt."""
+    return F.exists(a, lambda x: F.exists(b, lambda y: (x == y) | ((F.length(x) > 8) & ~x.rlike("[0-9]") & (F.levenshtein(x, y) <= MISSPELT))))
+
+
+def compatible(codes_a: Column, codes_b: Column, names_a: Column, names_b: Column) -> Column:
+    """Whether two samples name one thing exactly, or both name nothing, and neither kind is at odds: named by both, and differently. A misspelt name isn't at odds, but it takes more than likeness to be one."""
+    same_code, same_name = F.arrays_overlap(codes_a, codes_b), F.arrays_overlap(names_a, names_b)
+    odd = lambda a, b, same: (F.size(a) > 0) & (F.size(b) > 0) & ~same
+    silent = F.size(codes_a) + F.size(names_a) + F.size(codes_b) + F.size(names_b) == 0
+    return ~odd(codes_a, codes_b, same_code) & ~odd(names_a, names_b, alike(names_a, names_b)) & (same_code | same_name | silent)
 
 
 def links(sets: DataFrame, at_least: float = LINKED) -> DataFrame:
-    """prompt_id, a, b (a < b), similarity: the sets of a prompt whose exact Jaccard similarity is at_least, among those that share a band of their MinHash signatures, and that don't name different things. sets: prompt_id, rep, f, codes, names, each once a prompt."""
+    """prompt_id, a, b (a < b), similarity: the sets of a prompt whose exact Jaccard similarity is at_least, among those that share a band of their MinHash signatures, and that don't name different things. sets: prompt_id, rep, f, codes, names, each once a prompt.
+
+    With a column g, the features of names, samples with names meet by signatures of these, since a link needs a name in common: so a bucket holds what names one thing, not what shares a subject.
+    Samples without names meet each other by signatures of all features; with others they have nothing to be told apart by, so they would bridge ideas."""
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(11)
@@ -133,15 +148,21 @@ def links(sets: DataFrame, at_least: float = LINKED) -> DataFrame:
             table = np.stack(keys, axis=1).ravel()
             yield pa.RecordBatch.from_arrays([b.column("prompt_id"), b.column("rep"), pa.ListArray.from_arrays(pa.array(np.arange(0, len(table) + 1, BANDS), pa.int32()), pa.array(table))], ["prompt_id", "rep", "bands"])
 
-    each = sets.select("prompt_id", "rep", "f").mapInArrow(banded, "prompt_id STRING, rep INT, bands ARRAY<BIGINT>").select("prompt_id", "rep", F.explode("bands").alias("key"))
+    def signed(rows: DataFrame, f: str, name: str) -> DataFrame:
+        bands = rows.select("prompt_id", "rep", F.col(f).alias("f")).mapInArrow(banded, "prompt_id STRING, rep INT, bands ARRAY<BIGINT>")
+        return bands.select("prompt_id", F.col("rep").alias(name), F.explode("bands").alias("key"))
+
     # Buckets hold ids alone; a pair that shares several is compared once.
-    a, b = (each.select("prompt_id", "key", F.col("rep").alias(s)) for s in "ab")
-    met = a.join(b, ["prompt_id", "key"]).where("a < b").select("prompt_id", "a", "b").distinct()
+    if "g" in sets.columns:
+        own = signed(sets.where(F.size("g") > 0), "g", "a").union(signed(sets.where(F.size("g") == 0), "f", "a"))
+    else:
+        own = signed(sets, "f", "a")
+    met = own.join(own.withColumnRenamed("a", "b"), ["prompt_id", "key"]).where("a < b").select("prompt_id", "a", "b").distinct()
     for side in "ab":
         met = met.join(sets.select("prompt_id", F.col("rep").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("f", "codes", "names"))), ["prompt_id", side])
     scored = met.withColumn("both", F.size(F.array_intersect("f_a", "f_b"))).withColumn("similarity", F.col("both") / (F.size("f_a") + F.size("f_b") - F.col("both")))
-    odd = at_odds(F.col("codes_a"), F.col("codes_b")) | at_odds(F.col("names_a"), F.col("names_b"))
-    return scored.where((F.col("similarity") >= at_least) & ~odd).select("prompt_id", "a", "b", "similarity")
+    one = compatible(*(F.col(f"{c}_{side}") for c in ("codes", "names") for side in "ab"))
+    return scored.where((F.col("similarity") >= at_least) & one).select("prompt_id", "a", "b", "similarity")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -197,7 +218,7 @@ def clustered(generations: DataFrame) -> DataFrame:
     compared once, so copies cost nothing; a large prompt is spread by bands and sets. An empty table gives none."""
     samples = settle(samples_of(generations))
     f = settle(features(samples).where(F.size("f") > 0))
-    sets = settle(f.groupBy("prompt_id", "f", "codes", "names").agg(F.min("sample_index").alias("rep")))
+    sets = settle(f.groupBy("prompt_id", "f", "codes", "names").agg(F.min("sample_index").alias("rep"), F.min("g").alias("g")))
     edges = settle(links(sets))
     roots = split(edges, settle(components(edges)))
     degree = edges.select("prompt_id", F.col("a").alias("rep")).union(edges.select("prompt_id", "b")).groupBy("prompt_id", "rep").agg(F.count("*").alias("degree"))
