@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 
 from textmill.llm import neighbours as N
 
@@ -47,3 +50,34 @@ def test_invalid_few_and_none(spark):
     assert sorted((r["vec_a"], r["vec_b"]) for r in got) == [(1, 6), (6, 1)]
     assert N.neighbours(spark.createDataFrame([], shape), 5, 2).count() == 0
     assert N.neighbours(spark.createDataFrame(rows[:1], shape), 5, 2).count() == 0
+
+
+def test_a_walk_holds_few_distances_at_a_time():
+    rng = np.random.default_rng(4)
+    c, x = rng.normal(size=(2001, 8)), rng.normal(size=(2000, 8))
+    tree = N.Tree(list(c), [list(range(1, 2001))] + [[] for _ in range(2000)], list(range(-1, 2000)), 2000)
+    tracemalloc.start()
+    leaves = [next(iter(v)) for v in tree.visited(x, 1)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert leaves == (x @ c[1:].T).argmax(axis=1).tolist() and peak < 30e6
+
+
+def test_queries_of_a_block_are_answered_as_they_come():
+    x = np.random.default_rng(5).normal(size=(60, 4)).astype(np.float32)
+    read = []
+
+    def batches():
+        for cell, asks, rows in ((0, False, range(0, 20)), (0, False, range(20, 40)), (0, True, range(0, 30)), (0, True, range(30, 60)), (1, True, range(0, 9)), (2, False, range(40, 60)), (2, True, range(0, 5))):
+            read.append((cell, asks))
+            n = len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([cell] * n, pa.int32()), pa.array(rows, pa.int64()), pa.array([x[i] for i in rows], pa.list_(pa.float32())), pa.array([[0]] * n, pa.list_(pa.int32())), pa.array([asks] * n)], ["cell", "vec_id", "embedding", "leaves", "asks"])
+
+    got = N.answered(batches(), 3)
+    first = next(got)
+    assert len(read) == 3 and first.num_rows == 30
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    for b, base in ((first, range(40)), (next(got), range(40)), (next(got), range(40, 60))):
+        for r in b.to_pylist():
+            assert [e["id"] for e in r["near"]] == sorted(base, key=lambda i: -(u[i] @ u[r["q"]]))[:3]
+    assert next(got, None) is None

@@ -18,6 +18,8 @@ from textmill.lineage import bucket, only, settle, table
 #: Vectors that the tree is fitted on (of lowest hash, so a fixed sample), branches of a node, vectors wished for in a leaf,
 #: calibration queries (compared with all vectors), the recall they must reach, vectors of a block of base vectors in a task.
 SAMPLE, BRANCHES, LEAF, ASKED, RECALL, BLOCK = 32_768, 8, 256, 512, 0.9995, 8_192
+#: Queries whose distances a task holds at a time, and rows of questions that it sends at a time.
+AT_ONCE, SENT = 256, 16_384
 
 
 @dataclass
@@ -62,17 +64,19 @@ class Tree:
 
     def visited(self, x: np.ndarray, most: int) -> Iterator[list[int]]:
         """For each row the first most leaves of a best-bin-first walk: a priority queue holds the nodes not yet entered, the nearest goes first."""
-        far = -(x.astype(np.float32) @ np.stack(self.centroids).astype(np.float32).T)
-        for d in far.tolist():
-            queue, leaves = [(0.0, 0)], []
-            while queue and len(leaves) < most:
-                _, node = heapq.heappop(queue)
-                if kids := self.children[node]:
-                    for k in kids:
-                        heapq.heappush(queue, (d[k], k))
-                else:
-                    leaves.append(self.leaf[node])
-            yield leaves
+        c = np.stack(self.centroids).astype(np.float32).T
+        # Distances to all nodes are held for few rows at a time: a batch times the nodes of a large tree is gigabytes of numbers in Python.
+        for i in range(0, len(x), AT_ONCE):
+            for row in -(x[i : i + AT_ONCE].astype(np.float32) @ c):
+                d, queue, leaves = row.tolist(), [(0.0, 0)], []
+                while queue and len(leaves) < most:
+                    _, node = heapq.heappop(queue)
+                    if kids := self.children[node]:
+                        for k in kids:
+                            heapq.heappush(queue, (d[k], k))
+                    else:
+                        leaves.append(self.leaf[node])
+                yield leaves
 
 
 def spherical(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -154,12 +158,60 @@ def calibrated(tree: Tree, placed: DataFrame, k: int, asked: int, recall: float)
     return ranks[max(0, math.ceil(recall * len(ranks)) - 1)] + 1
 
 
+def answered(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """q, near for each query: of rows in the order of cell and asks, those of a cell that don't ask are held, and the queries after them are answered as they come."""
+    at, held, base = None, [], None
+    for b in batches:
+        cells, asks = b.column("cell").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+        edges = [0, *(np.nonzero((np.diff(cells) != 0) | (asks[1:] != asks[:-1]))[0] + 1).tolist(), len(cells)]
+        for lo, hi in zip(edges, edges[1:]):
+            if lo == hi:
+                continue
+            if cells[lo] != at:
+                at, held, base = cells[lo], [], None
+            if not asks[lo]:
+                held.append(b.slice(lo, hi - lo))
+            elif held:
+                base = base or block(held)
+                yield pa.RecordBatch.from_arrays([b.column("vec_id").slice(lo, hi - lo), nearest(b.slice(lo, hi - lo), *base, k)], ["q", "near"])
+
+
+def block(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """The vectors and ids of a cell, and its rows by leaf."""
+    base = pa.Table.from_batches(held).sort_by("vec_id")
+    leaf = base.column("leaves").combine_chunks().flatten().to_numpy()  # one each
+    order = np.argsort(leaf, kind="stable")
+    names, at = np.unique(leaf[order], return_index=True)
+    return matrix(base.column("embedding")), base.column("vec_id").to_numpy(), dict(zip(names.tolist(), np.split(order, at[1:]), strict=True))
+
+
+def nearest(ask: pa.RecordBatch, x: np.ndarray, ids: np.ndarray, rows_of: dict[int, np.ndarray], k: int) -> pa.Array:
+    """The k nearest of each query in the leaves that it asks for; places without one have a distance of 9."""
+    q = matrix(ask.column("embedding"))
+    wanted: dict[int, list[int]] = {}
+    for r, leaves in enumerate(ask.column("leaves").to_pylist()):
+        for leaf in leaves:
+            wanted.setdefault(leaf, []).append(r)
+    kept_id, kept_far = np.full((len(q), k), np.iinfo(np.int64).max), np.full((len(q), k), 9.0)
+    for leaf, asking in wanted.items():
+        rows = rows_of.get(leaf)
+        if rows is None:
+            continue
+        for i in range(0, len(asking), 1024):
+            own = np.array(asking[i : i + 1024])
+            a, c = best(q[own], x[rows], ids[rows], k)
+            both_id, both_far = np.concatenate([kept_id[own], a], 1), np.concatenate([kept_far[own], -c.astype(np.float64)], 1)
+            first_k = np.lexsort((both_id, both_far), axis=1)[:, :k]
+            kept_id[own], kept_far[own] = np.take_along_axis(both_id, first_k, 1), np.take_along_axis(both_far, first_k, 1)
+    return near_column(kept_id, -kept_far, None)
+
+
 def neighbours(vectors: DataFrame, k: int = 5, size: int = 64, sample: int = SAMPLE, leaf_size: int = LEAF, asked: int = ASKED, recall: float = RECALL) -> DataFrame:
     """vec_a, vec_b, cosine: for each valid vector the k others of highest cosine, of equal ones those of lowest vec_id, within the recall that was calibrated.
 
     A vector is valid if it and its vec_id aren't null, it has size elements, none null or NaN, and isn't all zeros. Fewer than k others give fewer rows, an empty table none.
     The driver fits a tree on a bounded sample; every vector is put in its leaf. Queries go to the leaves of a best-bin-first walk. A leaf of more than BLOCK vectors
-    is compared in blocks, and its queries are split likewise. Equal vectors are searched once, with the k + 1 of lowest vec_id standing for all, so that a vector with many copies costs no more than others."""
+    is compared in blocks. A task holds one block and one batch of the queries that ask for it, however many there are. Equal vectors are searched once, with the k + 1 of lowest vec_id standing for all, so that a vector with many copies costs no more than others."""
     v = valid(vectors, size).withColumn("copy", F.array(F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding")))
     v = settle(v.withColumn("nth", F.row_number().over(Window.partitionBy("copy").orderBy("vec_id"))).where(F.col("nth") <= k + 1))
     members = valid(vectors, size).select("vec_id", F.array(F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding")).alias("copy"))
@@ -196,63 +248,36 @@ def neighbours(vectors: DataFrame, k: int = 5, size: int = 64, sample: int = SAM
     def mix(ids: np.ndarray) -> np.ndarray:
         return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
 
+    names = ["cell", "vec_id", "embedding", "leaves", "asks"]
+
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["cell", "part", "vec_id", "embedding", "leaves", "asks"]
         for b in batches:
             if not b.num_rows:
                 continue
             ids, leaf = b.column("vec_id").to_numpy(), b.column("leaf").to_numpy()
-            p = many[leaf]
-            rows = np.repeat(np.arange(len(ids)), p)
-            part = np.concatenate([np.arange(x) for x in p])
-            cell = (start[leaf] + mix(ids) % p)[rows]
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(part, pa.int32()), pa.array(ids[rows]), b.column("embedding").take(pa.array(rows)), pa.array([[x] for x in leaf[rows].tolist()], pa.list_(pa.int32())), pa.array([False] * len(rows))], names)
+            cell = start[leaf] + (mix(ids) % many[leaf].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(ids), b.column("embedding"), pa.array([[x] for x in leaf.tolist()], pa.list_(pa.int32())), pa.array([False] * len(ids))], names)
             asking = np.nonzero(b.column("nth").to_numpy() == 1)[0]
             if len(asking):
                 q, out = matrix(b.column("embedding"))[asking], []
                 for r, leaves in zip(asking.tolist(), tree.visited(q, visits), strict=True):
-                    to: dict[tuple[int, int], list[int]] = {}
+                    to: dict[int, list[int]] = {}
                     for x in leaves:
-                        w = int(many[x])
-                        for j in range(w):
-                            to.setdefault((int(start[x]) + j, int(mix(ids[r : r + 1])[0]) % w), []).append(x)
-                    out += [(c, w, r, xs) for (c, w), xs in to.items()]
-                c, w, r, xs = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(w, pa.int32()), pa.array(ids[list(r)]), b.column("embedding").take(pa.array(r)), pa.array(xs, pa.list_(pa.int32())), pa.array([True] * len(r))], names)
-
-    def compared(t: pa.Table) -> pa.Table:
-        asks = t.column("asks")
-        base = t.filter(pc.invert(asks)).sort_by("vec_id")
-        ask = t.filter(asks)
-        ids, near, far = [], [], []
-        if base.num_rows and ask.num_rows:
-            x, bi, bl = matrix(base.column("embedding")), base.column("vec_id").to_numpy(), np.array([r[0] for r in base.column("leaves").to_pylist()])
-            order = np.argsort(bl, kind="stable")
-            names, at = np.unique(bl[order], return_index=True)
-            rows_of = dict(zip(names.tolist(), np.split(order, at[1:]), strict=True))
-            q, qi = matrix(ask.column("embedding")), ask.column("vec_id").to_numpy()
-            wanted: dict[int, list[int]] = {}
-            for r, leaves in enumerate(ask.column("leaves").to_pylist()):
-                for leaf in leaves:
-                    wanted.setdefault(leaf, []).append(r)
-            kept_id, kept_far = np.full((len(q), k + 1), np.iinfo(np.int64).max), np.full((len(q), k + 1), 9.0)
-            for leaf, asking in wanted.items():
-                rows = rows_of.get(leaf)
-                if rows is None:
-                    continue
-                for i in range(0, len(asking), 1024):
-                    own = np.array(asking[i : i + 1024])
-                    a, c = best(q[own], x[rows], bi[rows], k + 1)
-                    both_id, both_far = np.concatenate([kept_id[own], a], 1), np.concatenate([kept_far[own], -c.astype(np.float64)], 1)
-                    first_k = np.lexsort((both_id, both_far), axis=1)[:, : k + 1]
-                    kept_id[own], kept_far[own] = np.take_along_axis(both_id, first_k, 1), np.take_along_axis(both_far, first_k, 1)
-            ids, near, far = qi, kept_id, kept_far
-        if not len(ids):
-            return pa.table({"q": pa.array([], pa.int64()), "near": near_column(np.empty((0, 1)), np.empty((0, 1)), None)})
-        return pa.table({"q": pa.array(ids), "near": near_column(near, -far, None)})
-
-    rows = placed.mapInArrow(sent, "cell INT, part INT, vec_id BIGINT, embedding ARRAY<FLOAT>, leaves ARRAY<INT>, asks BOOLEAN")
-    near = rows.groupBy("cell", "part").applyInArrow(compared, NEAR)
+                        for j in range(int(many[x])):
+                            to.setdefault(int(start[x]) + j, []).append(x)
+                    out += [(c, r, xs) for c, xs in to.items()]
+                    if len(out) >= SENT:
+                        yield questions(b, ids, out)
+                        out = []
+                if out:
+                    yield questions(b, ids, out)
+
+    def questions(b: pa.RecordBatch, ids: np.ndarray, out: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
+        c, r, xs = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(ids[list(r)]), b.column("embedding").take(pa.array(r)), pa.array(xs, pa.list_(pa.int32())), pa.array([True] * len(r))], names)
+
+    rows = placed.mapInArrow(sent, "cell INT, vec_id BIGINT, embedding ARRAY<FLOAT>, leaves ARRAY<INT>, asks BOOLEAN")
+    near = rows.repartition("cell").sortWithinPartitions("cell", "asks").mapInArrow(lambda batches: answered(batches, k + 1), NEAR)
     near = merged(near.withColumn("near", F.filter("near", lambda x: x["far"] < 5)), k + 1)
     lists = near.join(v.where("nth = 1").select(F.col("vec_id").alias("q"), "copy"), "q").select("copy", "near")
     each = members.join(lists, "copy").select(F.col("vec_id").alias("vec_a"), F.explode(F.slice(F.filter("near", lambda x: x["id"] != F.col("vec_id")), 1, k)).alias("x"))
