@@ -1,10 +1,13 @@
+import hashlib
 import itertools
 
+import duckdb
 import numpy as np
 import pytest
 
 from textmill.operators import vectors
 from textmill.operators.rows import earliest_public, public_dates
+from textmill.plans.catalogue import ORACLES, QUERIES
 
 
 def unit(rows):
@@ -68,3 +71,32 @@ def test_public_dates(spark):
     assert [(x["pmid"], str(x["earliest_public_date"]), x["status"], x["precision"]) for x in r] == [("12345678", "2024-01-15", "epublish", "day")]
     with pytest.raises(ValueError):
         public_dates(XML.replace("12345678", "x"))
+
+
+def odd(spark, folder):
+    """Prompts with one sample, without a name, with a sample without an index; many vectors of one text that many samples have."""
+    samples = [("p", i, f"t{i}") for i in range(3)] + [("q", 0, "t9")] + [(None, i, f"t{i}") for i in range(2)] + [("r", None, "t1"), ("r", 1, "t2"), ("r", 2, "t3")] + [("s", i, "many") for i in range(30)]
+    shape = "prompt_id STRING, sample_index INT, text STRING, quality_score DOUBLE, cluster_id STRING, scored_at TIMESTAMP_NTZ"
+    spark.createDataFrame([(p, i, t, 0.5, "c", None) for p, i, t in samples], shape).write.parquet(f"{folder}/teacher_generations.parquet")
+    rng, names = np.random.default_rng(6), [f"t{k % 10}" for k in range(20)] + ["many"] * 40
+    rows = [(k, hashlib.sha256(t.encode()).hexdigest(), rng.normal(size=64).tolist()) for k, t in enumerate(names)]
+    spark.createDataFrame(rows, "vec_id BIGINT, text_sha256 STRING, embedding ARRAY<FLOAT>").write.parquet(f"{folder}/text_vectors.parquet")
+
+
+def test_extremes_of_prompts_with_one_sample(spark, tmp_path):
+    odd(spark, tmp_path)
+    with duckdb.connect() as c:
+        for t in ("teacher_generations", "text_vectors"):
+            c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        want = sorted(c.sql(ORACLES["e49_extremes"]).fetchall())
+    got = sorted(map(tuple, QUERIES["e49_extremes"](spark, str(tmp_path)).collect()))
+    assert [r[0] for r in want] == ["p", "r", "s"] and got == want
+
+
+def test_many_vectors_of_one_text_make_no_product(spark, tmp_path):
+    odd(spark, tmp_path)
+    rows = vectors.placed(spark, str(tmp_path))
+    assert rows.where("prompt_id = 's'").select("vec_id").distinct().collect() == [(20,)] and rows.count() == 39
+    text = rows._jdf.queryExecution().optimizedPlan().toString()
+    join = next(i for i, x in enumerate(text.splitlines()) if "Join Inner" in x)
+    assert any("min_by" in x for x in text.splitlines()[join:]) and not any("min_by" in x for x in text.splitlines()[:join])

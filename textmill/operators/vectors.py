@@ -37,10 +37,10 @@ def units(vectors: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each latest sample that has a vector, with it (of several the least vec_id)."""
-    u = units(table(spark, sf_dir, "text_vectors"))
+    """Each latest sample that has a vector, with it (of several the least vec_id, chosen before the join, so that many vectors of a text that many samples have make no product)."""
+    u = units(table(spark, sf_dir, "text_vectors")).groupBy("text_sha256").agg(F.min("vec_id").alias("vec_id"), F.min_by("e", "vec_id").alias("e"))
     rows = latest(table(spark, sf_dir, "teacher_generations")).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
-    return rows.join(u, "text_sha256").groupBy("prompt_id", "sample_index", "quality_score").agg(F.min("vec_id").alias("vec_id"), F.min_by("e", "vec_id").alias("e"))
+    return rows.join(u, "text_sha256").select("prompt_id", "sample_index", "quality_score", "vec_id", "e")
 
 
 @query("i01_rejected", f"WITH {VALID} SELECT (SELECT count(*) FROM text_vectors) - (SELECT count(*) FROM units) AS rejected, (SELECT count(*) FROM units) AS valid")
@@ -70,7 +70,7 @@ def blocked(rows: DataFrame, group: str, ident: str) -> DataFrame:
 @query("e49_extremes", f"WITH {PLACED} SELECT a.prompt_id, count(*) AS pairs, round(min(list_dot_product(a.e, b.e)), 5) AS least, round(max(list_dot_product(a.e, b.e)), 5) AS most FROM placed a JOIN placed b ON a.prompt_id = b.prompt_id AND a.sample_index < b.sample_index GROUP BY a.prompt_id")
 def e49(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least and greatest cosine within each prompt, by matrix products of blocks."""
-    rows = blocked(placed(spark, sf_dir).select("prompt_id", "sample_index", "e"), "prompt_id", "sample_index")
+    rows = blocked(placed(spark, sf_dir).where("sample_index IS NOT NULL").select("prompt_id", "sample_index", "e"), "prompt_id", "sample_index")
 
     def compared(t: pa.Table) -> pa.Table:
         i, j, block = t["i"][0].as_py(), t["j"][0].as_py(), t["block"].to_numpy()
@@ -78,7 +78,8 @@ def e49(spark: SparkSession, sf_dir: str) -> DataFrame:
         a, b = x[block == i], x[block == j]
         s = a @ b.T if len(a) and len(b) else np.empty((0, 0))
         s = s[np.triu_indices(len(s), 1)] if i == j else s.ravel()
-        return pa.table({"prompt_id": t["prompt_id"][:1], "pairs": [len(s)], "least": [float(s.min()) if len(s) else None], "most": [float(s.max()) if len(s) else None]})
+        least, most = (float(s.min()), float(s.max())) if len(s) else (None, None)
+        return pa.table({"prompt_id": t["prompt_id"][:1], "pairs": [len(s)], "least": pa.array([least], pa.float64()), "most": pa.array([most], pa.float64())})
 
     by = rows.groupBy("prompt_id", "i", "j").applyInArrow(compared, "prompt_id STRING, pairs BIGINT, least DOUBLE, most DOUBLE")
     return by.groupBy("prompt_id").agg(F.sum("pairs").alias("pairs"), F.round(F.min("least"), 5).alias("least"), F.round(F.max("most"), 5).alias("most")).where("pairs > 0")
