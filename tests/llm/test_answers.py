@@ -27,6 +27,22 @@ def test_fragments_of_known_words_are_cuts(spark):
     assert [e[f"r{i}"] for i in range(len(rows))] == [False] * 4 + [True, True, False, True, False, False]
 
 
+def test_each_sign_can_decide():
+    """Beside the forms of ending, each sign turns some sum of others; a sign that can't is a stage without effect. Whole endings outweigh all signs."""
+    forms, w = (texts.MARKED, texts.OPEN, texts.LOOSE), truncation.WEIGHTS
+    signs = [k for k in w if k not in ("start", *forms, texts.ENDED)]
+    states = [{"start", f, *o} for f in forms for n in range(len(signs) + 1) for o in itertools.combinations(signs, n)]
+    assert signs and all(any(k in s and sum(w[x] for x in s) > 0 >= sum(w[x] for x in s - {k}) for s in states) for k in signs)
+
+
+def test_length_and_reason_decide_nothing_and_fragments_do(spark):
+    label = "All is done here, as the closure ends. " * 4 + "\n\nKey terms: closure, "
+    rows = [(f"{IDEA} The signalling of closure ends.", "stop", 15)] * 3 + [(label + word, reason, n) for word in ("closure", "signalli", "quorv") for reason, n in (("stop", 9), ("length", 40), (None, None))]
+    records, specs, prompts = found(spark, rows)
+    e = {r["request_id"]: (r["cut"], r["score"]) for r in truncation.evidence(records, specs, prompts).collect()}
+    assert [e[f"r{i}"] for i in range(3, 12)] == [(False, -3.5)] * 3 + [(True, 0.5)] * 3 + [(False, -3.5)] * 3
+
+
 def test_trie_counts(spark):
     words = spark.createDataFrame([("ab", 2), ("abc", 3)], "word STRING, n BIGINT")
     assert {r["node"]: (r["n"], r["longer"]) for r in truncation.trie(words).collect()} == {"a": (0, 5), "ab": (2, 3), "abc": (3, 0)}
