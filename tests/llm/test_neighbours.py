@@ -81,3 +81,13 @@ def test_queries_of_a_block_are_answered_as_they_come():
         for r in b.to_pylist():
             assert [e["id"] for e in r["near"]] == sorted(base, key=lambda i: -(u[i] @ u[r["q"]]))[:3]
     assert next(got, None) is None
+
+
+def test_large_tables_send_a_query_to_fewer_cells(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 25)
+    x = np.random.default_rng(7).normal(size=(2400, 8)).astype(np.float32)
+    sent, ran = [], N.merged
+    monkeypatch.setattr(N, "merged", lambda near, k: (sent.append(near.count()), ran(near, k))[1])
+    found = {(r["vec_a"], r["vec_b"]) for r in N.neighbours(frame(spark, x), 3, 8, leaf_size=20).collect()}
+    assert len(found & brute(x.astype(float), 3)) / 7200 > 0.97
+    assert sent[-1] <= 24 * 2400 * 1.5

@@ -20,6 +20,8 @@ from textmill.lineage import bucket, only, settle, table
 SAMPLE, BRANCHES, LEAF, ASKED, RECALL, BLOCK = 32_768, 8, 256, 512, 0.9995, 8_192
 #: Queries whose distances a task holds at a time, and rows of questions that it sends at a time.
 AT_ONCE, SENT = 256, 16_384
+#: A cell of a large table holds up to so many blocks, as long as there are so many cells: the fewer they are, the fewer each query is sent to.
+WIDE, CELLS = 4, 24
 
 
 @dataclass
@@ -197,9 +199,10 @@ def nearest(ask: pa.RecordBatch, x: np.ndarray, ids: np.ndarray, rows_of: dict[i
         rows = rows_of.get(leaf)
         if rows is None:
             continue
-        for i in range(0, len(asking), 1024):
-            own = np.array(asking[i : i + 1024])
-            a, c = best(q[own], x[rows], ids[rows], k)
+        base, step = x[rows], max(1, 1024 * BLOCK // max(BLOCK, len(rows)))
+        for i in range(0, len(asking), step):
+            own = np.array(asking[i : i + step])
+            a, c = best(q[own], base, ids[rows], k)
             both_id, both_far = np.concatenate([kept_id[own], a], 1), np.concatenate([kept_far[own], -c.astype(np.float64)], 1)
             first_k = np.lexsort((both_id, both_far), axis=1)[:, :k]
             kept_id[own], kept_far[own] = np.take_along_axis(both_id, first_k, 1), np.take_along_axis(both_far, first_k, 1)
@@ -210,8 +213,8 @@ def neighbours(vectors: DataFrame, k: int = 5, size: int = 64, sample: int = SAM
     """vec_a, vec_b, cosine: for each valid vector the k others of highest cosine, of equal ones those of lowest vec_id, within the recall that was calibrated.
 
     A vector is valid if it and its vec_id aren't null, it has size elements, none null or NaN, and isn't all zeros. Fewer than k others give fewer rows, an empty table none.
-    The driver fits a tree on a bounded sample; every vector is put in its leaf. Queries go to the leaves of a best-bin-first walk. A leaf of more than BLOCK vectors
-    is compared in blocks. A task holds one block and one batch of the queries that ask for it, however many there are. Equal vectors are searched once, with the k + 1 of lowest vec_id standing for all, so that a vector with many copies costs no more than others."""
+    The driver fits a tree on a bounded sample; every vector is put in its leaf. Queries go to the leaves of a best-bin-first walk. A leaf of more vectors than a cell
+    holds is compared in parts. A task holds one cell and one batch of the queries that ask for it, however many there are. Equal vectors are searched once, with the k + 1 of lowest vec_id standing for all, so that a vector with many copies costs no more than others."""
     v = valid(vectors, size).withColumn("copy", F.array(F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding")))
     v = settle(v.withColumn("nth", F.row_number().over(Window.partitionBy("copy").orderBy("vec_id"))).where(F.col("nth") <= k + 1))
     members = valid(vectors, size).select("vec_id", F.array(F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding")).alias("copy"))
@@ -231,15 +234,16 @@ def neighbours(vectors: DataFrame, k: int = 5, size: int = 64, sample: int = SAM
     visits = calibrated(tree, placed, k, asked, recall)
     counts = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # a number for each leaf of the bounded tree
     # Leaves that lie side by side in the tree share a cell, a large one has several; a query visits each cell once, with the leaves it asks for.
+    most = max(BLOCK, min(WIDE * BLOCK, n // CELLS))
     first, parts, cells, room = {}, {}, 0, 0
     for leaf in range(tree.leaves):
         c = counts.get(leaf, 0)
-        if c > BLOCK:
+        if c > most:
             cells, room = cells + (room > 0), 0
-            first[leaf], parts[leaf] = cells, math.ceil(c / BLOCK)
+            first[leaf], parts[leaf] = cells, math.ceil(c / most)
             cells += parts[leaf]
         else:
-            if room + c > BLOCK:
+            if room + c > most:
                 cells, room = cells + 1, 0
             first[leaf], parts[leaf] = cells, 1
             room += c
